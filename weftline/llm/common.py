@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,43 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def raw(text: str) -> F.Column:
     """The text's UTF-8 bytes, null as none."""
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed with the session's end where that can still be done."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with suppress(Exception):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(remove)
+    return path
+
+
+#: Groups that join_groups() joins by broadcast, the largest ones; a fixed number, whatever the input.
+LARGEST_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows inner-joined with groups, which has one row per key; size names its count of rows.
+
+    The largest groups go by broadcast, so that no shuffled key holds more than one row
+    in LARGEST_GROUPS; all others by a shuffle join. Keys hold no nulls.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    largest = groups.orderBy(F.desc(size), *keys).limit(LARGEST_GROUPS).filter(F.col(size) > 1)
+    mark, *named = free_name(rows, "large", *(f"large_{c}" for c in values))
+    largest = largest.select(*keys, F.lit(True).alias(mark), *(F.col(c).alias(n) for c, n in zip(values, named)))
+    tagged = rows.join(F.broadcast(largest), keys, "left")
+    own = [c for c in rows.columns if c not in keys]
+    large = tagged.filter(F.col(mark)).select(*keys, *own, *(F.col(n).alias(c) for c, n in zip(values, named)))
+    rest = tagged.filter(F.col(mark).isNull()).select(*keys, *own).join(groups, keys).select(*keys, *own, *values)
+    return large.union(rest)
+
+
+def without(docs: DataFrame, drop: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs less those whose key is in drop (distinct); by broadcast only where drop is counted and small."""
+    drop = cut(drop)
+    return docs.join(F.broadcast(drop) if small_enough(drop, broadcast_rows) else drop, key, "left_anti")

@@ -22,12 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, partitions, settings
+from weftline.llm.common import cut, join_groups, partitions, settings
 
 #: Bits of the run number settled in one round: four runs merge at a time.
 ROUND_BITS = 2
-#: Groups joined back by broadcast, the largest ones; a fixed number, whatever the input.
-LARGEST_GROUPS = 1000
 
 _KEY = ["digest", "n_bytes", "second"]
 
@@ -65,13 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = cut(digests(docs, id_col, text_col))
     groups = merged_runs(rows)
-    largest = groups.orderBy(F.desc("group_size"), "digest").limit(LARGEST_GROUPS).filter("group_size > 1")
-    largest = largest.select(*_KEY, F.col("keep_id").alias("large_id"), F.col("group_size").alias("large_size"))
-    tagged = rows.join(F.broadcast(largest), _KEY, "left")
-    large = tagged.filter("large_size is not null").select("doc_id", "digest", F.col("large_id").alias("keep_id"), F.col("large_size").alias("group_size"))
-    rest = tagged.filter("large_size is null").select("doc_id", *_KEY).join(groups, _KEY).select("doc_id", "digest", "keep_id", "group_size")
+    both = join_groups(rows, groups, _KEY, "group_size")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-    return large.union(rest).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = r"""

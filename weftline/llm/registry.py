@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from weftline.llm import exact_dedup as _exact
+from weftline.llm import line_dedup as _lines
+from weftline.llm import mixing as _mixing
+from weftline.llm import packing as _packing
+from weftline.llm import simhash as _simhash
+from weftline.llm import token_files as _tokens
 from weftline.llm.common import table
 
 QUERIES = {
     "op2_exact_dedup": lambda spark, d: _exact.exact_dedup(table(spark, d, "documents")),
+    "op3_mixing": lambda spark, d: _mixing.schedule(table(spark, d, "documents")),
+    "op4_simhash": lambda spark, d: _simhash.near_duplicates(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: _packing.pack(table(spark, d, "documents")),
+    "op6_token_files": lambda spark, d: _tokens.round_trip(table(spark, d, "documents")),
+    "op7_line_dedup": lambda spark, d: _lines.report(table(spark, d, "documents")),
 }
 ORACLES = {
     "op2_exact_dedup": _exact.ORACLE,
+    "op7_line_dedup": _lines.ORACLE,
 }
