@@ -88,8 +88,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 LARGEST_GROUPS = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows inner-joined with groups, which has one row per key; size names its count of rows.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups, which has one row per key; size names its count of rows.
 
     The largest groups go by broadcast, so that no shuffled key holds more than one row
     in LARGEST_GROUPS; all others by a shuffle join. Keys hold no nulls.
@@ -101,7 +101,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     tagged = rows.join(F.broadcast(largest), keys, "left")
     own = [c for c in rows.columns if c not in keys]
     large = tagged.filter(F.col(mark)).select(*keys, *own, *(F.col(n).alias(c) for c, n in zip(values, named)))
-    rest = tagged.filter(F.col(mark).isNull()).select(*keys, *own).join(groups, keys).select(*keys, *own, *values)
+    rest = tagged.filter(F.col(mark).isNull()).select(*keys, *own).join(groups, keys, how).select(*keys, *own, *values)
     return large.union(rest)
 
 
