@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from weftline.llm import ann as _ann
 from weftline.llm import exact_dedup as _exact
 from weftline.llm import line_dedup as _lines
@@ -33,9 +34,12 @@ QUERIES = {
     "op8_warc": lambda spark, d: _warc.round_trip(table(spark, d, "pages")),
     "op9_ann": lambda spark, d: _ann.search(table(spark, d, "embeddings")),
     "op10_suffix_dedup": lambda spark, d: _suffixes.report(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_exact_dedup": _exact.ORACLE,
     "op7_line_dedup": _lines.ORACLE,
     "op8_warc": _warc.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -199,12 +199,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_groups(rows, labels, ["fp"], "n_rows").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
     """docs with one document of each component: that with the smallest identifier.
 
     Rows without an identifier stay. Of rows repeated with one identifier, one stays.
     """
-    labels = cut(near_duplicates(docs, id_col, text_col, words, threshold))
+    labels = cut(near_duplicates(docs, id_col, text_col, words, threshold, blocks))
     kept = without(docs, labels.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), id_col)
     again = cut(labels.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
     if again.isEmpty():
