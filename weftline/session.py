@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +27,17 @@ def build_session(app: str = "weftline", cores: str = "8", shuffle_partitions: i
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per context, unless their path already leads to it."""
+    home = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_weftline_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(home.glob("weftline/**/*.py")):
+            out.write(source, source.relative_to(home))
+    context.addPyFile(str(path))
+    context._weftline_shipped = True
