@@ -60,7 +60,7 @@ _BOUGHT = f"""
 with place as (select n_nationkey, 'r' || n_regionkey || '/n' || n_nationkey as place from nation),
 s as (select s_suppkey, s_nationkey, '{ROOT}/' || place || '/s' || s_suppkey || '.py' as s_file, replace(place, '/', '.') as s_mod from supplier join place on s_nationkey = n_nationkey),
 c as (select c_custkey, c_nationkey, '{ROOT}/' || place || '/c' || c_custkey || '.py' as c_file from customer join place on c_nationkey = n_nationkey),
-b as (select distinct c_custkey, s_suppkey from orders join lineitem on o_orderkey = l_orderkey join customer on c_custkey = o_custkey),
+b as (select distinct c_custkey, l_suppkey as s_suppkey from orders join lineitem on o_orderkey = l_orderkey join customer on c_custkey = o_custkey),
 e as (select c_file, s_file, s_suppkey, case when s_nationkey = c_nationkey then '.s' || s_suppkey else s_mod || '.s' || s_suppkey end as raw from b join s using (s_suppkey) join c using (c_custkey))
 """
 IMPORTS_SQL = _BOUGHT + "select c_file as file, 'from_import' as kind, raw, 'ship' as imported_name, s_file as resolved_file, 'name_inside_module' as resolution from e"

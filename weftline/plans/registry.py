@@ -292,9 +292,10 @@ def _urls(spark, d):
 
 
 _PREFIX_SQL = r"""f as (select distinct url as file from pages), p as (select file, regexp_split_to_array(file, '[\\/]') as parts from f),
-x as (select unnest(parts[:len(parts) - 1]) as part, generate_subscripts(parts[:len(parts) - 1], 1) as at from p),
-a as (select at, part from (select at, count(*) as n, min(part) as part, max(part) as hi from x group by at) where n = (select count(*) from f) and part = hi),
-pre as (select coalesce(string_agg(part, '/' order by at), '') as prefix from a where at <= (select coalesce(max(at), 0) from (select at, row_number() over (order by at) as k from a) where at = k)),
+x as (select unnest(parts[1:len(parts) - 1]) as part, generate_subscripts(parts[1:len(parts) - 1], 1) as pos from p),
+a as (select pos, part from (select pos, count(*) as n, min(part) as part, max(part) as hi from x group by pos) where n = (select count(*) from f) and part = hi),
+ok as (select pos, part, row_number() over (order by pos) as k from a),
+pre as (select coalesce(string_agg(part, '/' order by pos), '') as prefix from ok where pos = k),
 rel as (select file, case when prefix <> '' and starts_with(file, prefix || '/') then substr(file, length(prefix) + 2) else file end as rel from f, pre)
 """
 
