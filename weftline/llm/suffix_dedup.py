@@ -267,11 +267,11 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, kinds: int = KINDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     spark = docs.sparkSession
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        repeated(docs, id_col, text_col, batches).write.parquet(path := scratch(spark, "spans"))
+        repeated(docs, id_col, text_col, batches, kinds).write.parquet(path := scratch(spark, "spans"))
     spans = spark.read.parquet(path)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
