@@ -89,7 +89,9 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if data[at : at + 1] == b"\n":  # between records
             at += 1
             continue
-        end = data.index(b"\n", at)
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError("a header line without an end")
         values = data[at:end].decode().split(" ")
         if len(values) != len(names):
             raise ValueError(f"a header line of {len(values)} fields for {len(names)}")
