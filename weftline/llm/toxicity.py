@@ -29,7 +29,7 @@ from weftline.llm.common import cut
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 #: Rows fitted on at most, and features that keep a weight.
-POSITIVES, NEGATIVES, KEPT = 4000, 8000, 16384
+POSITIVES, NEGATIVES, KEPT = 4000, 8000, 4096
 LEAST_DOCUMENTS = 4
 SMOOTHING = 1.0
 PENALTY = 3e-4
@@ -90,29 +90,26 @@ def present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def fit(rows: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the features (on values of ratio) and intercept: penalised logistic loss by accelerated gradient."""
-    n, k = len(y), len(ratio)
-    value = ratio[features]
-
-    def forward(w: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, weights=value * w[features], minlength=n)
+    """Weights of the features (on values of ratio) and intercept: penalised logistic loss by accelerated gradient.
 
-    def back(g: np.ndarray) -> np.ndarray:
-        return np.bincount(features, weights=value * g[rows], minlength=k)
-
-    v = np.random.default_rng(0).standard_normal(k)
+    The sample and the kept features are bounded, and so is the dense matrix: 200 MB at most.
+    """
+    n, k = len(y), len(ratio)
+    x = np.zeros((n, k), np.float32)
+    x[rows, features] = ratio[features]
+    v = np.random.default_rng(0).standard_normal(k).astype(np.float32)
     for _ in range(12):
-        v = back(forward(v / np.linalg.norm(v)))
-    rate = 1 / (0.25 * (1.1 * np.linalg.norm(v) / n + 1) + PENALTY)
-    w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
+        v = (x @ (v / np.linalg.norm(v))) @ x
+    rate = float(1 / (0.25 * (1.1 * np.linalg.norm(v) / n + 1) + PENALTY))
+    w, b = np.zeros(k, np.float32), float(np.log(y.mean() / (1 - y.mean())))
     pw, pb = w, b
     for step in range(STEPS):
         m = step / (step + 3)
-        qw, qb = w + m * (w - pw), b + m * (b - pb)
-        g = (1 / (1 + np.exp(-np.clip(forward(qw) + qb, -50, 50))) - y) / n
+        qw, qb = w + np.float32(m) * (w - pw), b + m * (b - pb)
+        g = ((1 / (1 + np.exp(-np.clip(x @ qw + qb, -50, 50))) - y) / n).astype(np.float32)
         pw, pb = w, b
-        w, b = qw - rate * (back(g) + PENALTY * qw), qb - rate * float(g.sum())
-    return w, b
+        w, b = qw - np.float32(rate) * (g @ x + np.float32(PENALTY) * qw), qb - rate * float(g.sum())
+    return w.astype(float), float(b)
 
 
 class Model:
@@ -151,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays(out, names=["n0", "n1", "c0", "c1"])
 
     n, seen = np.zeros(2, np.int64), np.zeros((2, 1 << BITS))
-    for r in texts.mapInArrow(count, "n0 long, n1 long, c0 binary, c1 binary").toLocalIterator():  # COUNTERS rows of a fixed size
+    for r in texts.mapInArrow(count, "n0 long, n1 long, c0 binary, c1 binary").collect():  # COUNTERS rows of 8 MB
         n += (r["n0"], r["n1"])
         seen += [np.frombuffer(r["c0"], np.uint32), np.frombuffer(r["c1"], np.uint32)]
     if not n.all():
