@@ -33,17 +33,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import join_groups, raw, scratch, settings
+from weftline.llm.common import join_groups, partitions, raw, scratch, settings
 
 MATCH, HALF, KEY = 400, 200, 16
 BATCHES = 4
 #: Kinds of one key that are compared in one task; keys of more go by a shuffle of strings.
 KINDS = 20_000
+#: Most frequent suffixes of a level whose entries aren't shuffled; entries whose strings are hashed at a time.
+LARGEST, AT_ONCE = 1000, 1024
 
 ENTRY = "batch int, lead long, h long, kind long, k1 long, k2 long, at int, low short, high short"
 SUFFIX, KIND = ["lead", "h"], ["lead", "h", "kind"]
@@ -170,6 +171,14 @@ class SuffixIndex:
         suffixes.groupBy(*SUFFIX).agg(F.sum(n).alias("n")).sortWithinPartitions(*SUFFIX).write.parquet(path)
         return self.spark.read.schema("lead long, h long, n long").parquet(path)
 
+    def largest(self, n: int) -> DataFrame:
+        """The n most frequent suffixes of each level."""
+        out = None
+        for _, level in self.levels:
+            top = level.orderBy(F.desc("n"), *SUFFIX).limit(n).select(*SUFFIX)
+            out = top if out is None else out.union(top)
+        return out.distinct()
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes a batch's entries; returns the suffixes that match, within the batch or with what came before."""
         array = self._sorted(batch.select(*SUFFIX, F.lit(1).cast("long").alias("one")), "one")
@@ -190,35 +199,57 @@ WINDOW = "lead long, h long, kind long, d short, w long"
 RUN = "lead long, h long, kind long, low short, high short"
 
 
-def strings(low: int, high: int, data: bytes) -> np.ndarray:
-    """Hashes of the strings of one entry, from its bytes: of those that begin high down to low before the anchor."""
-    start = np.arange(high - low + 1)
-    return _mixed(Hashes(data).both(start, start + MATCH) + (high - start).astype(_U))
-
-
-def _runs(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers in sorted d."""
-    cut_ = np.flatnonzero(np.diff(d) != 1)
-    return d[np.concatenate(([0], cut_ + 1))], d[np.concatenate((cut_, [len(d) - 1]))]
-
-
-def decide(group: pd.DataFrame) -> pd.DataFrame:
-    """The strings that repeat among the kinds of one key; expects lead, h, kind, low, high, data of one entry each."""
-    group = group.drop_duplicates("kind")
-    hashed = [strings(*r) for r in zip(group["low"], group["high"], group["data"])]
-    which = np.repeat(np.arange(len(group)), [len(x) for x in hashed])
-    d = np.concatenate([np.arange(b, a - 1, -1) for a, b in zip(group["low"], group["high"])])
-    w = np.concatenate(hashed)
-    order = np.argsort(w, kind="stable")
-    same = np.flatnonzero(w[order][1:] == w[order][:-1])
-    again = np.zeros(len(w), bool)
-    again[order[same]] = again[order[same + 1]] = True
-    out = []
-    for k in np.unique(which[again]).tolist():
-        mine = group.iloc[k]
-        for a, b in zip(*_runs(np.sort(d[again & (which == k)]))):
-            out.append((mine["lead"], mine["h"], mine["kind"], a, b))
-    return pd.DataFrame(out, columns=["lead", "h", "kind", "low", "high"])
+def strings(low: np.ndarray, high: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings of some entries from their bytes, with each one's entry and its distance before the anchor."""
+    out: list[tuple[np.ndarray, ...]] = [(np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for k in range(0, len(data), AT_ONCE):
+        some = data[k : k + AT_ONCE]
+        many = (high - low + 1)[k : k + AT_ONCE]
+        begin = np.cumsum([0, *map(len, some)])[:-1]
+        which = np.repeat(np.arange(len(some)), many)
+        within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        d, start = high[k + which] - within, begin[which] + within
+        out.append((_mixed(Hashes(b"".join(some)).both(start, start + MATCH) + d.astype(_U)), which + k, d))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def decide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings that repeat among the kinds of each key; expects lead, h, kind, low, high, data, sorted by the first three."""
+
+    def keys(*columns: np.ndarray) -> np.ndarray:
+        """Where a row differs from the one before."""
+        return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+    def settle(lead, h, kind, low, high, data) -> pa.RecordBatch:
+        one = np.flatnonzero(keys(lead, h, kind))  # repeated rows fetch the same entry
+        lead, h, kind, low, high = (c[one] for c in (lead, h, kind, low, high))
+        w, which, d = strings(low, high, [data[k] for k in one.tolist()])
+        group = np.cumsum(keys(lead, h))[which]
+        w = w + _mixed(group.astype(_U))
+        order = np.argsort(w, kind="stable")
+        same = np.flatnonzero((w[order][1:] == w[order][:-1]) & (group[order][1:] == group[order][:-1]))
+        again = np.zeros(len(w), bool)
+        again[order[same]] = again[order[same + 1]] = True
+        at = np.flatnonzero(again)
+        new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(which[at]) != 0))) if len(at) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(at)]))[: len(first)] - 1
+        row = which[at[first]]
+        columns = [lead[row], h[row], kind[row], d[at[last]].astype(np.int16), d[at[first]].astype(np.int16)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lead", "h", "kind", "low", "high"])
+
+    kept: list = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int64)] * 2 + [[]]
+    for part in parts:
+        new = [part.column(k).to_numpy().astype(np.int64) for k in range(5)] + [part.column(5).to_pylist()]
+        rows = [np.concatenate(x) for x in zip(kept[:5], new[:5])] + [kept[5] + new[5]]
+        if not len(rows[0]):
+            continue
+        end = int(np.flatnonzero(keys(rows[0], rows[1]))[-1])
+        if end:
+            yield settle(*(c[:end] for c in rows))
+        kept = [c[end:] for c in rows]
+    if len(kept[5]):
+        yield settle(*kept)
 
 
 def repeated(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES, kinds: int = KINDS) -> DataFrame:
@@ -232,7 +263,10 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES
     for b in range(batches):
         new = index.add(every.filter(F.col("batch") == b))
         found = new if found is None else found.union(new)
-    every.drop("batch").join(found.distinct(), SUFFIX, "left_semi").write.parquet(path := scratch(spark, "matched"))
+    # entries of the most frequent suffixes stay where they are; a fixed number of suffixes goes to them
+    top = index.largest(LARGEST).join(found.distinct(), SUFFIX, "left_semi")
+    rest = every.drop("batch").join(F.broadcast(top), SUFFIX, "left_anti").join(found.distinct(), SUFFIX, "left_semi")
+    every.drop("batch").join(F.broadcast(top), SUFFIX, "left_semi").unionByName(rest).write.parquet(path := scratch(spark, "matched"))
     matched = spark.read.parquet(path)
     kind = matched.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.first("low").alias("low"), F.first("high").alias("high"))
     kind.write.parquet(path := scratch(spark, "kinds"))
@@ -246,14 +280,13 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES
     fetched = texts.select(*(F.col(f"a.{c}").alias(c) for c in (*KIND, "low", "high", "many")), data.alias("data"))
     fetched.write.parquet(path := scratch(spark, "surroundings"))
     fetched = spark.read.schema(f"{RUN}, many boolean, data binary").parquet(path)
-    few = fetched.filter("not many").drop("many").groupBy(*SUFFIX).applyInPandas(decide, RUN)
+    few = fetched.filter("not many").drop("many").repartition(partitions(spark), *SUFFIX).sortWithinPartitions(*KIND).mapInArrow(decide, RUN)
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lead, h, k, low, high, data in zip(*(c.to_pylist() for c in part.columns)):
-                n = high - low + 1
-                columns = [np.full(n, x) for x in (lead, h, k)] + [np.arange(high, low - 1, -1).astype(np.int16), strings(low, high, data).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lead", "h", "kind", "d", "w"])
+            w, which, d = strings(*(part.column(k).to_numpy().astype(np.int64) for k in (3, 4)), part.column(5).to_pylist())
+            rows = pa.array(which)
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), pa.array(d.astype(np.int16)), pa.array(w.view(np.int64))], names=["lead", "h", "kind", "d", "w"])
 
     windows = fetched.filter("many").drop("many").mapInArrow(each, WINDOW).distinct()
     held = windows.groupBy(*SUFFIX, "w", "d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
