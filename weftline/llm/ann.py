@@ -7,9 +7,9 @@ distance and so meets the leaves best first; how many it visits is calibrated: q
 bounded sample are answered exactly, against all vectors, and the visits are widened until the
 mean share of true neighbours found reaches the wanted recall.
 
-Leaves are compared with their queries as matrices. A leaf with many vectors, a vector that
-a third of all rows hold for one, is dealt into chunks; each reports its nearest few for each
-query, so pairs are never written out.
+Neighbouring leaves are compared with their queries in one task, up to CHUNK vectors; a leaf with
+more, a vector that a third of all rows hold for one, is dealt into chunks. A task reports its
+nearest few for each query, so pairs are never written out.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
 numbers take no part. Null identifiers take no part either. Rows repeated with one identifier
@@ -32,7 +32,7 @@ from weftline.llm.common import cut
 #: Rows that the tree is fitted on at most, parts that a part is split into, vectors that a leaf stands for.
 SAMPLE, BRANCHES, LEAF, ROUNDS = 32768, 16, 200, 8
 #: Queries that the visits are calibrated on, and the mean recall they must reach.
-CALIBRATION, RECALL = 128, 0.97
+CALIBRATION, RECALL = 128, 0.95
 #: Vectors of a leaf compared in one task.
 CHUNK = 8192
 
@@ -106,6 +106,15 @@ class Tree:
             todo += [(kid, rows[at == k]) for k, kid in enumerate(self.kids[node])]
         return out
 
+    def in_order(self) -> Iterator[int]:
+        """Leaves, those of one branch together."""
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            if not self.kids[node]:
+                yield node
+            todo += self.kids[node]
+
     def best_first(self, q: np.ndarray) -> Iterator[int]:
         """Leaves by a priority queue of the distances to their centres."""
         queue = [(0.0, 0)]
@@ -118,6 +127,21 @@ class Tree:
                 heapq.heappush(queue, (d, kid))
 
 
+def buckets(tree: Tree, counts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """(bucket of each leaf, chunks of each bucket): neighbouring leaves share a bucket up to CHUNK vectors.
+
+    A leaf of more has a bucket of its own, dealt into chunks.
+    """
+    of, chunks, bucket, size = {}, {0: 1}, 0, 0
+    for leaf in tree.in_order():
+        n = counts.get(leaf, 0)
+        if size and size + n > CHUNK:
+            bucket, size = bucket + 1, 0
+        of[leaf], size = bucket, size + n
+        chunks[bucket] = -(-size // CHUNK) or 1
+    return of, chunks
+
+
 def nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and distances of the k nearest rows of x, ties to smaller ids; own takes no part."""
     d = np.sqrt(((x - q) ** 2).sum(axis=1))
@@ -203,28 +227,52 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         wanted = [p for p in places if p]
         visits = next((n for n in range(1, tree.leaves) if np.mean([np.searchsorted(p, n, "right") / len(p) for p in wanted]) >= recall), tree.leaves) if wanted else 1
 
+    # a row per leaf, as many as the tree has
+    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bucket_of, chunks_of = buckets(tree, counts)
+    dealt = spark.sparkContext.broadcast((bucket_of, chunks_of))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunks = dealt.value
         for batch in batches:
             x = vectors(batch.column(1))
             for a in range(0, batch.num_rows, 64):
-                leaves = [[n for n, _ in zip(shared.value.best_first(v), range(visits))] for v in x[a : a + 64]]
-                at = np.repeat(np.arange(a, a + len(leaves)), [len(n) for n in leaves])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([n for some in leaves for n in some], pa.int64())], names=["query_id", "q", "leaf"])
+                rows: list[tuple[int, int, int, list[int]]] = []
+                for k, v in enumerate(x[a : a + 64], a):
+                    meets: dict[int, list[int]] = {}
+                    for n, _ in zip(shared.value.best_first(v), range(visits)):
+                        meets.setdefault(own[n], []).append(n)
+                    rows += [(k, b, c, leaves) for b, leaves in meets.items() for c in range(chunks[b])]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                columns = [pa.array([r[n] for r in rows], t) for n, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["query_id", "q", "bucket", "chunk", "leaves"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunks = dealt.value
+        for batch in batches:
+            bucket = np.array([own[n] for n in batch.column(2).to_pylist()], np.int64)
+            many = np.array([chunks[b] for b in bucket.tolist()], np.int64)
+            chunk = batch.column(3).to_numpy() % np.maximum(many, 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(bucket), pa.array(chunk)], names=["vec_id", "vec", "leaf", "bucket", "chunk"])
 
-    # a row per leaf, as many as the tree has
-    chunks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    left = placed.join(F.broadcast(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).select("leaf", "chunk", "vec_id", "vec")
-    asked = queries.mapInArrow(visit, "query_id long, q array<double>, leaf long").join(F.broadcast(chunks), "leaf")
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("leaf", "chunk", "query_id", "q")
+    salted = placed.withColumn("salt", F.shiftrightunsigned(F.xxhash64("vec_id"), 1))
+    left = salted.mapInArrow(deal, "vec_id long, vec array<double>, leaf long, bucket long, chunk long")
+    asked = queries.mapInArrow(visit, "query_id long, q array<double>, bucket long, chunk long, leaves array<long>")
 
     def meet(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out = []
         if mine.num_rows and theirs.num_rows:
-            ids, x = mine.column("vec_id").to_numpy(), vectors(mine.column("vec").combine_chunks())
-            for q, v in zip(theirs.column("query_id").to_pylist(), vectors(theirs.column("q").combine_chunks())):
-                at, d = nearest(v, ids, x, q, k)
-                out.append((q, ids[at], d, np.full(len(at), key[0].as_py())))
+            leaf = mine.column("leaf").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            leaf, ids, x = leaf[order], mine.column("vec_id").to_numpy()[order], vectors(mine.column("vec").combine_chunks())[order]
+            for q, v, leaves in zip(theirs.column("query_id").to_pylist(), vectors(theirs.column("q").combine_chunks()), theirs.column("leaves").to_pylist()):
+                spans = [(a, b) for a, b in zip(np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, "right")) if b > a]
+                if not spans:
+                    continue
+                some = np.concatenate([np.arange(a, b) for a, b in spans]) if sum(b - a for a, b in spans) < len(leaf) else slice(None)
+                at, d = nearest(v, ids[some], x[some], q, k)
+                out.append((q, ids[some][at], d, leaf[some][at]))
         return pa.Table.from_batches([_found(out)])
 
-    found = left.groupBy("leaf", "chunk").cogroup(asked.groupBy("leaf", "chunk")).applyInArrow(meet, FOUND)
+    found = left.groupBy("bucket", "chunk").cogroup(asked.groupBy("bucket", "chunk")).applyInArrow(meet, FOUND)
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
