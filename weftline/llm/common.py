@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -11,20 +10,9 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.lineage import cut, shared_dir, small_enough
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; set only where the cluster names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; what follows survives lost executors without recomputing it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "free_name", "join_groups", "partitions", "raw", "scratch", "settings", "shared_dir", "small_enough", "table", "without"]
 
 
 @contextmanager
@@ -61,11 +49,6 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def raw(text: str) -> F.Column:
     """The text's UTF-8 bytes, null as none."""
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
