@@ -18,17 +18,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by one Python worker; a full memory is emptied.
-REMEMBERED = 600_000
+#: Words, and their pieces, remembered by one Python worker: some 120 MB; a full memory is emptied.
+REMEMBERED, PIECES = 400_000, 150_000
 #: Texts joined at a time, in bytes.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 #: Characters for which lower case and composition depend on nothing around them.
 _PLAIN = r"\t-\r -~\x{A1}-\x{FF}"
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
-_PLAIN_WORD = re.compile(r"[!-~\xa1-\xff]*")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -66,7 +65,7 @@ class Encoder:
         if found is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
