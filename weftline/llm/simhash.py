@@ -204,7 +204,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an identifier stay. Of rows repeated with one identifier, one stays.
     """
-    labels = cut(near_duplicates(docs, id_col, text_col, words, threshold, blocks))
+    return keep_first(docs, cut(near_duplicates(docs, id_col, text_col, words, threshold, blocks)), id_col)
+
+
+def keep_first(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """docs with one document of each component of labels (doc_id, component_id), and all without an identifier."""
     kept = without(docs, labels.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), id_col)
     again = cut(labels.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
     if again.isEmpty():
