@@ -8,6 +8,11 @@ sequence that still has room. The tournament tree holds the room of every sequen
 at its leaves and the larger of two at each node, so the first fitting sequence is
 found by walking down once. Groups hold lengths only, never ids.
 
+Given places (the schedule of mixing; see pack_in_order), groups are windows of consecutive pieces in that
+order instead, and hold full pieces too. Sequences are numbered by window, and in it by the
+earliest place of a piece of theirs, so reading them by number keeps to the schedule up to
+a window.
+
 Null texts count as empty: such a document is its end id alone. Documents with the same
 identifier, or none, are packed each for itself. An empty table gives an empty result.
 """
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, partitions
 from weftline.llm.tokens import default_vocabulary, encoder
 
 SEQUENCE = 4096
@@ -73,20 +78,30 @@ def first_fit_decreasing(sizes: np.ndarray, room: int = SEQUENCE) -> tuple[np.nd
     return bins, offsets
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room: int = SEQUENCE, end: int = END) -> DataFrame:
-    """Every document's pieces, no longer than room, in its own order."""
+def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room: int = SEQUENCE, end: int = END, source_col: str | None = None) -> DataFrame:
+    """Every document's pieces, no longer than room, in its own order; with its source if source_col is given."""
+    named = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, last = encoder(vocabulary), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1))):
+            sources: list[str] = []
+            names = batch.column(2).to_pylist() if source_col else [""] * batch.num_rows
+            for doc, ids, name in zip(batch.column(0).to_pylist(), code.encode(batch.column(1)), names):
                 n = len(ids) + 1
                 data = ids.astype("<u4", copy=False).tobytes() + last
                 rows += [(doc, a, min(room, n - a), zlib.crc32(data[4 * a : 4 * (a + room)]), n) for a in range(0, n, room)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                sources += [name] * (len(rows) - len(sources))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
+            if source_col:
+                columns.append(pa.array(sources, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*named, "source"] if source_col else named)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECE)
+    chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if source_col:
+        chosen.append(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    return docs.select(*chosen).mapInArrow(run, PIECE + (", source string" if source_col else ""))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, room: int = SEQUENCE, end: int = END, group_size: int = GROUP) -> DataFrame:
@@ -108,3 +123,33 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     packed = rest.groupBy("group").applyInPandas(run, PIECE + ", sequence_id long, offset long")
     full = cuts.filter(whole).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
+
+
+def pack_in_order(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = None, room: int = SEQUENCE, end: int = END, window: int = GROUP) -> DataFrame:
+    """Like pack(), in windows of the order of places: doc_id, source, position, one row for each that docs has."""
+    spark = docs.sparkSession
+    cuts = pieces(docs, id_col, text_col, vocabulary or default_vocabulary(), room, end, source_col).withColumn("row", F.monotonically_increasing_id())
+    at = places.select(F.col("doc_id").alias("at_id"), F.col("source").alias("at_source"), "position")
+    placed = cuts.join(at, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("source") == F.col("at_source"))).drop("at_id", "at_source", "source")
+    order = ["position", "doc_id", "row", "start"]
+    placed = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = cut(placed)
+    part, first = F.shiftright("at", 33), F.min(F.col("at"))
+    runs = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy("part").collect()  # a row for each partition
+    starts, before = [(-1, 0, 0)], 0
+    for r in runs:
+        starts.append((r["part"], r["first"], before))
+        before += r["n"]
+    begin = F.broadcast(spark.createDataFrame(starts, "part long, first long, before long"))
+    ranked = placed.withColumn("part", part).join(begin, "part").withColumn("rank", F.col("at") - F.col("first") + F.col("before"))
+    ranked = ranked.withColumn("group", F.floor(F.col("rank") / window))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank", kind="stable")
+        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), room)
+        number = {b: k for k, b in enumerate(dict.fromkeys(bins.tolist()))}  # by the first piece of each
+        out = group.assign(offset=offsets)
+        out["sequence_id"] = (int(key[0]) << 32) + np.array([number[b] for b in bins.tolist()], np.int64)
+        return out[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "group").groupBy("group").applyInPandas(run, PIECE + ", sequence_id long, offset long")
