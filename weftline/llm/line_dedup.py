@@ -10,7 +10,8 @@ than (lines per page / ratio) boilerplate lines, which is what a page is held ag
 
 A null text stays null and has no lines; an empty one has one blank line. Null and empty
 hosts are one host. Rows repeated are pages of their own. Hosts with fewer pages than a
-minimum have no frequencies worth the name and keep all lines. An empty table gives an
+minimum have no frequencies worth the name and keep all lines; with a minimum of one and
+lines held to lie on two pages at least, every host is judged alike. An empty table gives an
 empty result. Other columns pass through.
 """
 
@@ -44,25 +45,25 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(_trimmed(line)).alias("a"), F.xxhash64(F.lit(1), _trimmed(line)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: Column, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, lines: the hashes of each host's boilerplate lines."""
+def boilerplate(docs: DataFrame, host: Column, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_held: int = 1) -> DataFrame:
+    """host, lines: the hashes of each host's boilerplate lines, which lie on least_held pages at least."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     pages = docs.select(host.alias("host"), F.filter(_lines(text), lambda x: _trimmed(x) != "").alias("lines"))
     held = pages.select("host", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("line"))
-    counts = held.groupBy("host", "line.a", "line.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ratio * least_pages)
+    counts = held.groupBy("host", "line.a", "line.b").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > ratio * least_pages) & (F.col("n") >= least_held))
     totals = docs.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= least_pages)
     above = counts.join(totals, "host").filter(F.col("n") > F.lit(float(ratio)) * F.col("total"))
     return above.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, length_col: str | None = None, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, length_col: str | None = None, counts: bool = False, least_held: int = 1) -> DataFrame:
     """docs with boilerplate lines gone from text_col.
 
     length_col, if given, gets the new number of characters. counts adds n_lines and n_dropped.
     """
     key = F.coalesce((F.col(host) if isinstance(host, str) else host).cast("string"), F.lit(""))
     h, s, lines, kept = free_name(docs, "host", "salt", "lines", "kept")
-    found = cut(boilerplate(docs, key, text_col, ratio, least_pages).withColumnsRenamed({"host": h, "lines": lines}))
+    found = cut(boilerplate(docs, key, text_col, ratio, least_pages, least_held).withColumnsRenamed({"host": h, "lines": lines}))
     if small_enough(found.select(F.explode(lines)), BROADCAST_LINES):
         held = docs.withColumn(h, key).join(F.broadcast(found), h, "left")
     else:
