@@ -67,13 +67,14 @@ def _base(parts: Column, level: Column, module: Column) -> Column:
 
 def exports(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((target, name) that a module offers, (target, exported_names, by_all) for wildcards)."""
-    names = facts.filter("fact in ('export', 'all', 'has_all')").select(F.col("file").alias("target"), "fact", "ord", "name")
+    names = facts.filter("fact in ('bind', 'all', 'has_all')").select(F.col("file").alias("target"), "fact", "ord", "level", "name")
     lists = names.groupBy("target").agg(
-        F.max(F.col("fact") == "has_all").alias("by_all"),
-        F.array_sort(F.collect_list(F.when(F.col("fact") == "all", F.struct("ord", "name")))).alias("listed"),
-        F.collect_set(F.when(F.col("fact") == "export", F.col("name"))).alias("bound"),
-    )
-    listed = F.transform("listed", lambda x: x["name"])
+        F.max(F.when(F.col("fact") == "has_all", F.col("level"))).alias("last"),
+        F.array_sort(F.collect_list(F.when(F.col("fact") == "all", F.struct("ord", "level", "name")))).alias("listed"),
+        F.collect_set(F.when((F.col("fact") == "bind") & (F.col("name") != "*"), F.col("name"))).alias("bound"),
+    ).withColumn("by_all", F.col("last").isNotNull())
+    # the last __all__ counts
+    listed = F.transform(F.filter("listed", lambda x: x["level"] == F.col("last")), lambda x: x["name"])
     public = F.sort_array(F.filter("bound", lambda x: ~x.startswith("_")))
     offered = lists.select("target", F.explode(F.array_distinct(F.when(F.col("by_all"), listed).otherwise(F.col("bound")))).alias("name"))
     return offered, lists.select("target", F.when(F.col("by_all"), listed).otherwise(public).alias("exported_names"), "by_all")
@@ -155,7 +156,7 @@ def module_graph(facts: DataFrame, files: DataFrame, paths: DataFrame, root: str
     roots = source_roots(spark, paths, root)
     index = module_index(paths, roots)
     scanned = facts.join(files.select("file"), "file", "left_semi")
-    own = scanned.filter("fact in ('import', 'ref', 'top_def')").unionByName(facts.filter("fact in ('export', 'all', 'has_all')"))
+    own = scanned.filter("fact in ('import', 'ref', 'top_def')").unionByName(facts.filter("fact in ('bind', 'all', 'has_all')"))
     entries = imports(own, module_parts(files, roots), index)
     edges = references(own, bindings(entries))
     return {
