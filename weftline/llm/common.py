@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.lineage import cut, shared_dir, small_enough
 
-__all__ = ["cut", "free_name", "join_groups", "partitions", "raw", "scratch", "settings", "shared_dir", "small_enough", "table", "without"]
+__all__ = ["cut", "file_system", "free_name", "join_groups", "partitions", "raw", "scratch", "settings", "shared_dir", "small_enough", "table", "valid_text", "without"]
 
 
 @contextmanager
@@ -54,14 +54,25 @@ def raw(text: str) -> F.Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def valid_text(text: str) -> F.Column:
+    """The text, with U+FFFD for bytes that aren't UTF-8, which Python can't read; null stays null."""
+    return F.make_valid_utf8(F.col(text).cast("string"))
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The path's file system and the path, as the cluster knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed with the session's end where that can still be done."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         with suppress(Exception):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
 
     atexit.register(remove)
     return path

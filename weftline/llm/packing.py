@@ -13,7 +13,7 @@ order instead, and hold full pieces too. Sequences are numbered by window, and i
 earliest place of a piece of theirs, so reading them by number keeps to the schedule up to
 a window.
 
-Null texts count as empty: such a document is its end id alone. Documents with the same
+Null texts count as empty: such a document is its end id alone. Bytes that aren't UTF-8 count as U+FFFD. Documents with the same
 identifier, or none, are packed each for itself. An empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, partitions
+from weftline.llm.common import cut, partitions, valid_text
 from weftline.llm.tokens import default_vocabulary, encoder
 
 SEQUENCE = 4096
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room: i
                 columns.append(pa.array(sources, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*named, "source"] if source_col else named)
 
-    chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    chosen = [F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text")]
     if source_col:
         chosen.append(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     return docs.select(*chosen).mapInArrow(run, PIECE + (", source string" if source_col else ""))

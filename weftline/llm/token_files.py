@@ -6,7 +6,7 @@ dictionary page, so an id takes as many bits as the vocabulary needs), row group
 kept to a fixed size, and the writer adds column and offset indexes, so a reader of a
 few documents or of the lengths alone fetches the pages it needs.
 
-Null texts count as empty: such a document is its end id alone. Null identifiers come
+Null texts count as empty: such a document is its end id alone. Bytes that aren't UTF-8 count as U+FFFD. Null identifiers come
 first. Documents with the same identifier follow each other, in any order, each in a row
 of its own. An empty table gives files without rows.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, scratch, settings
+from weftline.llm.common import partitions, scratch, settings, valid_text
 from weftline.llm.tokens import default_vocabulary, encoder
 
 END = 1
@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text"))
     ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     # few texts at a time on their way to Python: a batch is bounded by rows, and texts can be long
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
@@ -70,7 +70,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     rows = files.mapInArrow(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long")
     # the lengths alone, from their own column, give each file's place; there are as many rows as files
     sums = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    places = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # names have five digits or more, so they don't sort by themselves
+    places = sums.select("file", (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("within", within).join(F.broadcast(places), "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
