@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import file_system, join_groups, partitions, raw, scratch, settings
 
 MATCH, PASSAGE, KEY = 400, 288, 16
-HALF, HEAD = PASSAGE // 2, 64
+HALF, HEAD = PASSAGE // 2, 32
 BATCHES = 4
 #: Kinds of one key that are compared in one task; keys of more go by a shuffle of strings.
 KINDS = 20_000
@@ -302,13 +302,16 @@ def matched(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES,
     for b in range(batches):
         new = index.add(every.filter(F.col("batch") == b))
         found = new if found is None else found.union(new)
+    # from here on heads are told apart by a hash: entries are joined, not sorted
+    short = [F.xxhash64("head").alias("lead"), "h"]
+    found = found.select(*short).distinct()
+    every = every.select(*short, "kind", "kind2", "k1", "k2", "at", "low", "high", "low2")
     # entries of the most frequent suffixes stay where they are; a fixed number of suffixes goes to them
-    found = found.distinct()
-    top = F.broadcast(index.largest(LARGEST).join(found, ARRAY, "left_semi"))
-    rest = every.drop("batch").join(top, ARRAY, "left_anti").join(found, ARRAY, "left_semi")
-    both = every.drop("batch").join(top, ARRAY, "left_semi").unionByName(rest)
+    top = F.broadcast(index.largest(LARGEST).select(*short).join(found, SUFFIX, "left_semi"))
+    rest = every.join(top, SUFFIX, "left_anti").join(found, SUFFIX, "left_semi")
+    both = every.join(top, SUFFIX, "left_semi").unionByName(rest)
     sizes = F.array(F.struct(F.lit(PASSAGE).alias("size"), "kind", "low"), F.struct(F.lit(MATCH).alias("size"), F.col("kind2").alias("kind"), F.col("low2").alias("low")))
-    rows = both.select(F.xxhash64("head").alias("lead"), "h", "k1", "k2", "at", "high", F.explode(sizes).alias("s")).select("s.size", "lead", "h", "s.kind", "k1", "k2", "at", "s.low", "high")
+    rows = both.select("lead", "h", "k1", "k2", "at", "high", F.explode(sizes).alias("s")).select("s.size", "lead", "h", "s.kind", "k1", "k2", "at", "s.low", "high")
     rows.filter("low <= high").write.partitionBy("size").option("compression", "zstd").parquet(path := scratch(spark, "matched"))
     return spark.read.option("basePath", path).schema("lead long, h long, kind long, k1 long, k2 long, at int, low short, high short, size int").parquet(path)
 
