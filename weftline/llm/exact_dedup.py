@@ -4,7 +4,7 @@ Each input partition forms one run: its digests, sorted, each with the smallest
 identifier and the number of rows seen. Runs meet in binomial rounds: in the
 round for some bits of the run number, the runs that differ in those bits alone
 exchange rows so that each keeps the digests whose own bits match, and merges
-what it gets. After the last round a digest has met all its equals. Every
+what it gets in the order of digests. After the last round a digest has met all its equals. Every
 level's rows carry the text's length and a second hash beside the SHA-256, and
 only rows equal in all three merge, so what is retained is verified throughout.
 
@@ -19,10 +19,10 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, join_groups, partitions, settings
+from weftline.llm.common import cut, join_groups, partitions
 
 #: Bits of the run number settled in one round: four runs merge at a time.
 ROUND_BITS = 2
@@ -42,9 +42,8 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def merged_runs(rows: DataFrame) -> DataFrame:
     """One row per distinct text: digest, smallest identifier, number of rows."""
-    spark = rows.sparkSession
     rounds = 1
-    while 1 << (ROUND_BITS * rounds) < partitions(spark):
+    while 1 << (ROUND_BITS * rounds) < partitions(rows.sparkSession):
         rounds += 1
     runs = 1 << (ROUND_BITS * rounds)
     home = F.pmod(F.xxhash64("digest"), F.lit(runs)).cast("int")
@@ -53,10 +52,18 @@ def merged_runs(rows: DataFrame) -> DataFrame:
     for k in range(rounds):
         mask = (1 << (ROUND_BITS * (k + 1))) - (1 << (ROUND_BITS * k))
         sent = F.col("run").bitwiseAND(F.lit(~mask)).bitwiseOR(home.bitwiseAND(F.lit(mask)))
-        level = level.withColumn("run", sent).repartition(runs, "run").sortWithinPartitions("run", *_KEY)
-        level = level.groupBy("run", *_KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    with settings(spark, spark__sql__execution__replaceHashWithSortAgg="true"):
-        return cut(level.drop("run"))
+        level = merge(level.withColumn("run", sent).repartitionById(runs, "run"))
+    return cut(level.drop("run"))
+
+
+def merge(level: DataFrame) -> DataFrame:
+    """Runs that lie in one partition, merged in the order of digests: equals meet there, at most one from each.
+
+    The planner sorts by the window's keys and streams over them; the first of equals has the smallest identifier.
+    """
+    equals = Window.partitionBy("run", *_KEY)
+    place = F.row_number().over(equals.orderBy(F.col("keep_id").asc_nulls_last()))
+    return level.withColumn("place", place).withColumn("group_size", F.sum("group_size").over(equals)).filter("place = 1").drop("place")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
