@@ -11,11 +11,11 @@ Pages of equal payloads of some size are archived once, in full for the largest
 identifier; the others become revisit records that refer to it by its record identifier. Which
 pages those are is known from payload digests before anything is written.
 
-Archives are written by Spark into the shared folder, gzipped, and read back by parsing
-them record by record.
+Archives are written by Spark into the shared folder, every record a gzip member of its own (a zero
+byte, which gzip takes for padding, ends each), and read back by parsing them record by record.
 
 Null payloads count as empty, null addresses as 'unknown:'; bytes that an ARC header line
-can't hold are percent-encoded. Null identifiers come before all others, and their records
+can't hold are percent-encoded. Payloads are bytes, whether they are UTF-8 or not. Null identifiers come before all others, and their records
 are responses. Rows repeated with one identifier and payload are all responses, or all
 revisits. An empty table gives an empty result.
 """
@@ -41,6 +41,8 @@ REVISIT_BYTES = 1000
 BROADCAST_REVISITS = 200_000
 #: Records in one archive file.
 FILE_RECORDS = 2000
+#: Of compression.
+LEVEL = 6
 CAPTURED = "20000101000000"
 
 # Fixed values of the two archive formats.
@@ -56,7 +58,7 @@ PAGE, DIGEST, TARGET = "X-Page-ID", "X-Payload-SHA1", "X-Revisit-Of"
 
 def _word(text: str | None) -> str:
     """text as one field of a header line."""
-    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in text or "") or "-"
+    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogateescape")) for c in text or "") or "-"
 
 
 def arc_file(records: list[tuple[str, bytes]], version: int, captured: str = CAPTURED, name: str = "pages.arc") -> bytes:
@@ -156,12 +158,14 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("unknown:")).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    sized = rows.select("page_id", "url", "sha1", F.octet_length("payload").alias("size")).filter(F.col("size") >= REVISIT_BYTES)
-    kept = sized.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept.page_id is not null")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("unknown:")).cast("binary").alias("url"), payload.alias("payload"))
+    # a public digest can be made to collide: equal payloads agree in length and a second hash too
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("same", F.concat_ws(" ", "sha1", F.octet_length("payload"), F.xxhash64("payload")))
+    sized = rows.select("page_id", "url", "same", F.octet_length("payload").alias("size")).filter(F.col("size") >= REVISIT_BYTES)
+    kept = sized.groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept.page_id is not null")
     # a group of copies may be large: what is joined is a row per group, and only groups of two and more
-    kept = cut(kept.select("sha1", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url"), "n"))
-    joined = rows.join(F.broadcast(kept), "sha1", "left") if small_enough(kept, BROADCAST_REVISITS) else join_groups(rows, kept, ["sha1"], "n", "left")
+    kept = cut(kept.select("same", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url"), "n"))
+    joined = rows.join(F.broadcast(kept), "same", "left") if small_enough(kept, BROADCAST_REVISITS) else join_groups(rows, kept, ["same"], "n", "left")
     again = (F.col("page_id") != F.col("kept_id")) & (F.octet_length("payload") >= REVISIT_BYTES)
     joined = joined.select("page_id", "url", F.when(again, F.lit(b"").cast("binary")).otherwise(F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "sha1", F.when(again, F.col("kept_id")).alias("kept_id"), F.when(again, F.col("kept_url")).alias("kept_url"))
 
@@ -169,16 +173,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for batch in batches:
             blocks: list[tuple[str, bytes]] = []
             for page, url, data, size, sha1, other, other_url in zip(*(c.to_pylist() for c in batch.columns)):
+                url, other_url = (None if x is None else x.decode("utf-8", "surrogateescape") for x in (url, other_url))
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n{PAGE}: {'' if page is None else page}\r\n{DIGEST}: {sha1}"
                 if other is not None:
                     head += f"\r\n{TARGET}: {record_id(_word(other_url), _date(CAPTURED), str(other))}"
                 blocks.append((_word(url), head.encode() + END + data))
             # one legacy file of either version, converted record by record
             out = [to_warc(*r) for version in ARC_FIELDS for r in read_arc(arc_file(blocks[version - 1 :: 2], version))]
-            yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "surrogateescape") for x in out], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x + END, LEVEL, mtime=0) for x in out], pa.binary())], names=["value"])
 
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-        joined.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        # bytes become a string unread, and are written as they are
+        joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +207,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "page_id long, record_id string, record_type string, refers_to_id string, payload_bytes long, payload_digest string")
 
 
