@@ -3,9 +3,10 @@
 The tree is fitted on a bounded sample, split by k-means into BRANCHES parts again and again
 until a part stands for LEAF vectors. Every vector goes to the leaf that it reaches by the
 nearest centre at each level. A query walks the tree through a priority queue of centres by
-distance and so meets the leaves best first; how many it visits is calibrated: queries from a
-bounded sample are answered exactly, against all vectors, and the visits are widened until the
-mean share of true neighbours found reaches the wanted recall.
+distance and so meets the leaves best first; how many it visits is calibrated: vectors of a
+bounded sample, none of them a query, are answered exactly, against all vectors, and the visits are
+widened until the mean share of true neighbours found reaches the wanted recall. A query goes on
+until the leaves that it has met hold as many vectors as it wants.
 
 Neighbouring leaves are compared with their queries in one task, up to CHUNK vectors; a leaf with
 more, a vector that a third of all rows hold for one, is dealt into chunks. A task reports its
@@ -31,8 +32,8 @@ from weftline.llm.common import cut
 
 #: Rows that the tree is fitted on at most, parts that a part is split into, vectors that a leaf stands for.
 SAMPLE, BRANCHES, LEAF, ROUNDS = 32768, 16, 200, 8
-#: Queries that the visits are calibrated on, and the mean recall they must reach.
-CALIBRATION, RECALL = 128, 0.95
+#: Vectors that the visits are calibrated on, and the mean recall they must reach.
+CALIBRATION, RECALL = 128, 0.97
 #: Vectors of a leaf compared in one task.
 CHUNK = 8192
 
@@ -43,7 +44,12 @@ def take_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(finite & F.exists("vec", lambda x: x != 0))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.filter(F.size("vec") == (sizes[0]["d"] if sizes else 0)).distinct()
+    rows = cut(rows.filter(F.size("vec") == (sizes[0]["d"] if sizes else 0)))
+    twice = cut(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("vec_id"))
+    if twice.isEmpty():
+        return rows
+    # only rows of identifiers that occur again need comparing
+    return rows.join(twice, "vec_id", "left_anti").unionByName(rows.join(twice, "vec_id", "left_semi").distinct())
 
 
 def vectors(column: pa.Array) -> np.ndarray:
@@ -213,7 +219,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     placed = cut(rows.mapInArrow(place, "vec_id long, vec array<double>, leaf long"))
     queries = rows.filter(F.col("vec_id") % every == 0)
-    tried = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).collect()
+    others = rows.filter(F.col("vec_id") % every != 0)
+    tried = (queries if every == 1 else others).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).collect()
     visits = tree.leaves
     if tried:
         ids, x = np.array([r["vec_id"] for r in tried]), np.array([r["vec"] for r in tried])
@@ -230,25 +237,29 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     # a row per leaf, as many as the tree has
     counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     bucket_of, chunks_of = buckets(tree, counts)
-    dealt = spark.sparkContext.broadcast((bucket_of, chunks_of))
+    dealt = spark.sparkContext.broadcast((bucket_of, chunks_of, counts))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunks = dealt.value
+        own, chunks, held = dealt.value
         for batch in batches:
             x = vectors(batch.column(1))
             for a in range(0, batch.num_rows, 64):
                 rows: list[tuple[int, int, int, list[int]]] = []
-                for k, v in enumerate(x[a : a + 64], a):
+                for row, v in enumerate(x[a : a + 64], a):
                     meets: dict[int, list[int]] = {}
-                    for n, _ in zip(shared.value.best_first(v), range(visits)):
+                    met = 0
+                    for made, n in enumerate(shared.value.best_first(v)):
+                        if made >= visits and met > k:  # more than k, as the query itself is one
+                            break
                         meets.setdefault(own[n], []).append(n)
-                    rows += [(k, b, c, leaves) for b, leaves in meets.items() for c in range(chunks[b])]
+                        met += held.get(n, 0)
+                    rows += [(row, b, c, leaves) for b, leaves in meets.items() for c in range(chunks[b])]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 columns = [pa.array([r[n] for r in rows], t) for n, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["query_id", "q", "bucket", "chunk", "leaves"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunks = dealt.value
+        own, chunks, _ = dealt.value
         for batch in batches:
             bucket = np.array([own[n] for n in batch.column(2).to_pylist()], np.int64)
             many = np.array([chunks[b] for b in bucket.tolist()], np.int64)
