@@ -12,7 +12,9 @@ that covering radius plus the block's share of the threshold, so it meets, at th
 home, each fingerprint that it links with. Anchors compare their homes with all that came.
 
 Equal fingerprints are one before that, so copies cost nothing, and each partition reports
-a spanning forest of the links that it finds, never all pairs.
+a spanning forest of the links that it finds, never all pairs. An anchor with many homes, as a large
+family of near copies makes them, is dealt into squares of some HOMES homes and as many shares of what
+comes to it.
 
 Null texts count as empty; a text without words has fingerprint zero and links like any
 other. Null identifiers come after all others; a component of nothing else has a null
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, join_groups, partitions, raw, without
+from weftline.llm.common import cut, join_groups, partitions, raw, small_enough, without
 from weftline.llm.components import components
 
 WORDS = 4
@@ -38,6 +40,10 @@ THRESHOLD = 4
 #: Blocks that the bits are split into. Three give 2^17 anchors a block or more and 44 replicas;
 #: two give 2^27 anchors and 342 replicas, for more distinct fingerprints than MANY.
 BLOCKS, MANY = 3, 1 << 28
+#: Homes of an anchor compared in one task.
+HOMES = 4096
+#: Rows of the table of larger anchors that may go by broadcast.
+BROADCAST_ANCHORS = 200_000
 #: Shingles voted at a time.
 VOTES = 1 << 16
 
@@ -92,19 +98,26 @@ class Covering:
         self.flat, self.size = np.array([m for s in sorted(masks) for m in masks[s]], np.uint64), size
         self.first = np.concatenate(([0], np.cumsum(size)[:-1]))
 
-    def replicas(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each meeting of a fingerprint and an anchor: its index, the anchor's cell, whether it is the home."""
+    def home(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each fingerprint's bits in this block, their syndrome, and the anchor that they belong to."""
         value = (fps >> np.uint64(self.shift)) & np.uint64((1 << self.width) - 1)
         syndrome = np.zeros(len(fps), np.uint64)
         for b in range(self.coded):
             syndrome ^= ((value >> np.uint64(b)) & np.uint64(1)) * np.uint64(b + 1)
-        home = np.where(syndrome > 0, value ^ (np.uint64(1) << (np.maximum(syndrome, 1) - np.uint64(1))), value)
+        return value, syndrome, np.where(syndrome > 0, value ^ (np.uint64(1) << (np.maximum(syndrome, 1) - np.uint64(1))), value)
+
+    def cell(self, anchor: np.ndarray) -> np.ndarray:
+        return (np.uint64(self.number) << np.uint64(58)) | anchor
+
+    def replicas(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each meeting of a fingerprint and an anchor: its index, the anchor's cell, whether it is the home."""
+        value, syndrome, home = self.home(fps)
         s = syndrome.astype(np.int64)
         many = self.size[s]
         at = np.repeat(np.arange(len(fps)), many)
         within = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
         anchor = value[at] ^ self.flat[self.first[s][at] + within]
-        return at, (np.uint64(self.number) << np.uint64(58)) | anchor, anchor == home[at]
+        return at, self.cell(anchor), anchor == home[at]
 
 
 def coverings(blocks: int, threshold: int) -> list[Covering]:
@@ -148,7 +161,7 @@ def compare(fps: np.ndarray, home: np.ndarray, threshold: int, forest: Forest) -
                     forest.join(x, y)
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, homes: int = HOMES) -> DataFrame:
     """Edges a, b over distinct fingerprints (column fp) that connect what the links connect."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +174,12 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS)
                     at, cell, home = code.replicas(fps)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fps[at].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
 
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = coverings(blocks, threshold)
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c.cell(c.home(fps)[2]) for c in codes]).view(np.int64))], names=["cell"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, kept = Forest(), [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)]
 
@@ -181,8 +200,24 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS)
         nodes = list(forest.up)
         yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, [forest.root(x) for x in nodes])], names=["a", "b"])
 
-    met = distinct.select("fp").mapInArrow(replicate, "cell long, fp long, home boolean")
-    return met.repartition(partitions(distinct.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").distinct()
+    n = partitions(distinct.sparkSession)
+    spread = distinct.select("fp").repartition(n)  # few rows become many here
+    met = spread.mapInArrow(replicate, "cell long, fp long, home boolean")
+    large = distinct.select("fp").mapInArrow(at_home, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > homes)
+    large = cut(large.select("cell", F.ceil(F.col("n") / homes).cast("int").alias("side")))
+    if not large.isEmpty():
+        tagged = met.join(F.broadcast(large) if small_enough(large, BROADCAST_ANCHORS) else large, "cell", "left")
+        at = F.pmod(F.xxhash64("fp"), F.col("side")).cast("int")
+        every = F.sequence(F.lit(0), F.col("side") - 1)
+        # as a home in row `at` of the squares, as what came in column `at`
+        squares = F.transform(every, lambda k: F.struct(at.alias("i"), k.alias("j"), F.lit(True).alias("home")))
+        columns = F.transform(every, lambda k: F.struct(k.alias("i"), at.alias("j"), F.lit(False).alias("home")))
+        places = F.when(F.col("home"), F.concat(squares, F.filter(columns, lambda x: x["i"] != at))).otherwise(columns)
+        split = tagged.filter("side is not null").select("cell", "fp", F.explode(places).alias("p"))
+        # fingerprints link by themselves, so a chance meeting of two squares does no harm
+        split = split.select(F.xxhash64("cell", "p.i", "p.j").alias("cell"), "fp", F.col("p.home").alias("home"))
+        met = tagged.filter("side is null").select("cell", "fp", "home").unionByName(split)
+    return met.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
