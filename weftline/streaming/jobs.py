@@ -1,7 +1,9 @@
 """Scan jobs as a stream of requests.
 
-Requests arrive as JSON files in a folder; a stream takes them in order of arrival and appends
-a job row per state to a Parquet table. A job's row of the last state is the job.
+Requests arrive as JSON files in a folder; a stream takes them in order of arrival and writes
+a job row per state, when the job gets there, to a Parquet table partitioned by job and state.
+A job's row of the last state is the job. A batch that is taken again, as after a crash,
+rewrites the states it has and leaves finished jobs alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 JOB = "job_id string, status string, path string, error string, created_at double, seq int"
 LISTED = 50
+#: States in order; a job ends as done or error.
+QUEUED, RUNNING, ENDED = ("queued", 0), ("running", 1), 2
 
 
 class NotFound(LookupError):
@@ -39,19 +43,26 @@ def submit(folder: str, path: str) -> str:
     return job
 
 
+def _write(states: DataFrame, jobs: str) -> None:
+    states.write.partitionBy("job_id", "seq").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(jobs)
+
+
 def work(spark: SparkSession, folder: str, jobs: str, results: str, checkpoint: str, scan: Callable[[SparkSession, str], dict[str, DataFrame]]) -> None:
     """Runs all requests that have arrived, each to done or error, and returns; progress is in the checkpoint."""
 
     def run(batch: DataFrame, _: int) -> None:
-        for r in batch.orderBy("created_at").toLocalIterator():
-            error, status = None, "done"
+        _write(batch.select("job_id", F.lit(QUEUED[0]).alias("status"), "path", F.lit(None).cast("string").alias("error"), "created_at", F.lit(QUEUED[1]).alias("seq")), jobs)
+        ended = batch.sparkSession.read.schema(JOB).parquet(jobs).filter(F.col("seq") == ENDED).select("job_id")
+        for r in batch.join(ended, "job_id", "left_anti").orderBy("created_at", "job_id").collect():
+            state = lambda status, seq, error=None: _write(spark.createDataFrame([(r["job_id"], status, r["path"], error, r["created_at"], seq)], JOB).coalesce(1), jobs)  # noqa: B023, E731
+            state(*RUNNING)
             try:
                 for name, df in scan(spark, r["path"]).items():
                     df.write.mode("overwrite").parquet(f"{results}/{r['job_id']}/{name}")
             except Exception as e:  # any failure is the job's outcome, not the stream's
-                error, status = str(e), "error"
-            rows = [(r["job_id"], s, r["path"], x, r["created_at"], k) for k, (s, x) in enumerate([("queued", None), ("running", None), (status, error)])]
-            spark.createDataFrame(rows, JOB).coalesce(1).write.mode("append").parquet(jobs)
+                state("error", ENDED, str(e))
+            else:
+                state("done", ENDED)
 
     requests = spark.readStream.schema("job_id string, path string, created_at double").json(folder)
     requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
