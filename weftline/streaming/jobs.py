@@ -53,7 +53,7 @@ def work(spark: SparkSession, folder: str, jobs: str, results: str, checkpoint:
     def run(batch: DataFrame, _: int) -> None:
         _write(batch.select("job_id", F.lit(QUEUED[0]).alias("status"), "path", F.lit(None).cast("string").alias("error"), "created_at", F.lit(QUEUED[1]).alias("seq")), jobs)
         ended = batch.sparkSession.read.schema(JOB).parquet(jobs).filter(F.col("seq") == ENDED).select("job_id")
-        for r in batch.join(ended, "job_id", "left_anti").orderBy("created_at", "job_id").collect():
+        for r in batch.join(ended, "job_id", "left_anti").orderBy("created_at", "job_id").toLocalIterator():
             state = lambda status, seq, error=None: _write(spark.createDataFrame([(r["job_id"], status, r["path"], error, r["created_at"], seq)], JOB).coalesce(1), jobs)  # noqa: B023, E731
             state(*RUNNING)
             try:
