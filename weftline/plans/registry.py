@@ -247,10 +247,16 @@ def _(spark, d):
 
 def _queue(spark, d):
     imports, unresolved, store = _entries(spark, d)
-    return overrides.review_queue(imports, unresolved, imports.limit(0)), store
+    return overrides.review_queue(imports, unresolved, _aliased(imports, unresolved)), store
 
 
-_QUEUE_SQL = "select case when resolved_file is null then 1 else 2 end as section, file, ord, raw{} from keyed where (resolved_file is null or coalesce(resolution = 'name_inside_module', false) or coalesce(imported_name = '*', false))"
+def _aliased(imports, unresolved):
+    """The links with an alias, which stand for function edges."""
+    return imports.union(unresolved).filter("alias is not null")
+
+
+_QUEUE_SQL = """, queued as (select case when resolved_file is null then 1 else 2 end as section, file, ord, raw, key from keyed where resolved_file is null or coalesce(resolution = 'name_inside_module', false) or coalesce(imported_name = '*', false)
+union all select 3, file, ord, raw, key from keyed where resolved_file is null and alias is not null) select section, file, ord, raw{} from queued"""
 
 
 @_add("review_queue", _STORE_SQL + _QUEUE_SQL.format(""))
@@ -258,7 +264,7 @@ def _(spark, d):
     return _queue(spark, d)[0].select("section", "file", "ord", "raw")
 
 
-@_add("review_pending", _STORE_SQL + _QUEUE_SQL.format(", key") + " and key not in (select key from store)")
+@_add("review_pending", _STORE_SQL + _QUEUE_SQL.format(", key") + " where key not in (select key from store)")
 def _(spark, d):
     return overrides.pending(*_queue(spark, d)).select("section", "file", "ord", "raw", "key")
 
@@ -349,17 +355,27 @@ def _(spark, d):
     return rollup.search(rollup.relative_paths(_urls(spark, d)).select("file", "rel"), "PAGE")
 
 
-@_add("node_view", _DEGREES + """select node, degree, 'clean' as status, 26.0::double + least(8.0, degree * 1.2)::double as height, least(180.0, greatest(64.0, length(node) * 6.5 + 20))::double as width, node as tooltip from deg""")
+_NODE_VIEW = f"""{_STORE_SQL.strip()}, e as (select distinct file as src, resolved_file as dst from keyed where resolved_file is not null), n as (select file as node from keyed union select dst from e),
+ends as (select src as node from e union all select dst from e), held as (select file, count(*) filter (not {_EXPECTED}) as attention, count(*) filter ({_EXPECTED}) as expected from keyed where resolved_file is null group by file),
+v as (select n.node, (select count(*) from ends where ends.node = n.node)::bigint as degree, coalesce(attention, 0) as attention, coalesce(expected, 0) as expected, length(regexp_extract(n.node, '[^/\\\\]*$')) as long from n left join held on file = n.node)
+select node, degree, case when attention > 0 then 'attention' when expected > 0 then 'expected' else 'clean' end as status, 26.0::double + least(8.0, degree * 1.2)::double as height, least(180.0, greatest(64.0, long * 6.5 + 20))::double as width,
+concat_ws(' — ', node, case when attention > 0 then attention || ' unresolved import' || case when attention = 1 then '' else 's' end || ' need attention' end, case when expected > 0 then expected || ' stdlib/third-party import' || case when expected = 1 then '' else 's' end || ' (expected)' end) as tooltip from v
+"""
+
+
+@_add("node_view", _NODE_VIEW)
 def _(spark, d):
-    none = spark.createDataFrame([], "file string, attention long, expected long")
-    return rollup.node_view(_degrees(spark, d), none).select("node", "degree", "status", "height", "width", "tooltip")
+    imports, unresolved, _store = _entries(spark, d)
+    edges = graph.distinct_edges(imports.select(F.col("file").alias("src"), F.col("resolved_file").alias("dst")))
+    nodes = imports.select(F.col("file").alias("node")).union(unresolved.select("file")).union(edges.select("dst")).distinct()
+    return rollup.node_view(graph.degrees(nodes, edges), rollup.counts_per_file(unresolved)).select("node", "degree", "status", "height", "width", "tooltip")
 
 
-@_add("graph_summary", _STORE_SQL + f", e as (select distinct file, resolved_file from keyed where resolved_file is not null) select (select count(*) from pages)::bigint as files, (select count(*) from e)::bigint as edges, (select count(*) from keyed where resolved_file is null and not {_EXPECTED})::bigint as attention, 0::bigint as function_edges")
+@_add("graph_summary", _STORE_SQL + f", e as (select distinct file, resolved_file from keyed where resolved_file is not null) select (select count(*) from pages)::bigint as files, (select count(*) from e)::bigint as edges, (select count(*) from keyed where resolved_file is null and not {_EXPECTED})::bigint as attention, (select count(*) from keyed where alias is not null)::bigint as function_edges")
 def _(spark, d):
     imports, unresolved, _store = _entries(spark, d)
     edges = graph.distinct_edges(imports.select(F.col("file").alias("src"), F.col("resolved_file").alias("dst")))
-    return graph.summary(table(spark, d, "pages").select("page_id"), edges, unresolved, unresolved.limit(0))
+    return graph.summary(table(spark, d, "pages").select("page_id"), edges, unresolved, _aliased(imports, unresolved))
 
 
 # Context
