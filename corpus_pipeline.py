@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: candidates by SimHash, and by MinHash what 64 bits can't find, checked on whole sets."""
     return _near.drop_near_copies(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 

@@ -1,11 +1,14 @@
-"""Near copies by exact similarity: MinHash candidates, each checked on the whole sets.
+"""Near copies by exact similarity: SimHash and MinHash candidates, each checked on the whole sets.
 
 A document is the set of its shingles of words, as XXH64 hashes. Two documents link when
 the Jaccard similarity of their sets is at least a threshold; documents in one connected
 component of links are near copies.
 
-Candidates share a cell: one of BANDS bands, the minima of ROWS random orders of their sets.
-A pair at 0.8 misses all bands with a chance of (1 - 0.8^4)^32, 5 in 10^8. Equal sets are
+Candidates share a cell. The first kind of cell is a component of SimHash fingerprints of the
+sets, linked at BITS or fewer differing bits by the anchors of simhash.py. Sets with a similarity
+of 0.8 differ in some 10 of 64 bits, too many for any threshold that tells texts apart, so cells of
+a second kind find what fingerprints can't: one of BANDS bands, the minima of ROWS random orders of
+the sets. A pair at 0.8 misses all bands with a chance of (1 - 0.8^4)^32, 5 in 10^8. Equal sets are
 one before that, so copies cost nothing, and cells of the same members are one. Every member
 of a cell is compared with the cell's pivot, its smallest digest. What that leaves in one
 component needs no more comparing. In the other cells, members that aren't connected with the
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, join_groups, raw, small_enough
 from weftline.llm.components import components
-from weftline.llm.simhash import Forest, keep_first, shingle_hashes
+from weftline.llm.simhash import THRESHOLD, Forest, keep_first, shingle_hashes, vote
+from weftline.llm.simhash import links as simhash_links
 
 WORDS, SIMILARITY = 5, 0.8
+BITS = THRESHOLD
 BANDS, ROWS = 32, 4
 #: Hashes put into random orders at a time, and rows of texts.
 HASHES, HELD = 1 << 17, 256
@@ -76,7 +81,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, whole: bool) -> DataFrame:
-    """doc_id, digest, and the set itself if whole, its size and cells if not."""
+    """doc_id, digest, and the set itself if whole, its size, fingerprint and bands' cells if not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +92,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, whole: bool)
                 if whole:
                     columns["hashes"] = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
                 else:
-                    columns |= {"size": pa.array([len(s) for s in sets], pa.int64()), "cells": pa.array([c.tolist() if len(s) else [] for s, c in zip(sets, bands(sets))], pa.list_(pa.int64()))}
+                    columns |= {"size": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(np.array([vote(s) for s in sets], np.uint64).view(np.int64)), "cells": pa.array([c.tolist() if len(s) else [] for s, c in zip(sets, bands(sets))], pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    kind = "hashes array<long>" if whole else "size long, cells array<long>"
+    kind = "hashes array<long>" if whole else "size long, fp long, cells array<long>"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("text")).mapInArrow(run, f"doc_id long, digest binary, {kind}")
 
 
@@ -137,11 +142,24 @@ def _compare(similarity: float):
     return run
 
 
+def simhash_cells(groups: DataFrame) -> DataFrame:
+    """digest, size, first_id, cell: the component of its fingerprint, of every set that isn't empty."""
+    some = groups.filter("size > 0").select("digest", "size", "first_id", "fp")
+    roots = cut(components(simhash_links(cut(some.select("fp").distinct()), BITS)))
+    linked = some.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return cut(linked.select("digest", "size", "first_id", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("cell")))
+
+
+def band_cells(groups: DataFrame) -> DataFrame:
+    """digest, size, first_id, cell: one row for each band."""
+    return groups.select("digest", "size", "first_id", F.explode("cells").alias("cell"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, component_id."""
     rows = cut(_rows(docs, id_col, text_col, words, False))
-    groups = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("cells").alias("cells")))
-    held = groups.select("digest", "size", "first_id", F.explode("cells").alias("cell"))
+    groups = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
+    held = simhash_cells(groups).unionByName(band_cells(groups))
     cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "size")).alias("pivot"), F.sum(F.col("size") + MEMBER).alias("total"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).filter("n > 1")
     cells = cells.groupBy("n", "pivot", "who").agg(F.min("cell").alias("cell"), F.first("total").alias("total"))
     cells = cut(cells.select("cell", "n", F.col("pivot.digest").alias("pivot"), F.col("pivot.size").alias("pivot_size"), "total"))
