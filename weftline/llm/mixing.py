@@ -14,12 +14,14 @@ A block has BLOCK documents, or as many more as keep all blocks to some BLOCKS:
 slot by slot is bounded, whatever the number of documents, and is a table of a block's slot,
 by which the executors place their rows.
 
-So is the number of streams that are scheduled at once (STREAMS). Of more, the largest stand for
-themselves; the others are dealt, by like sizes, into groups, which are scheduled with the
-sum of their members' weights. A group's slots go to its members by a Pfair schedule of
-its own, worked out on the executors: a member is less than one block from its share of
-the group's slots, and takes over what used-up members of its group leave. Groups are
-grouped again while they are too many.
+So is the number of streams that are scheduled at once, by one rule for any number of sources.
+Without weights, sources lie in a tree by the hash of their names: STREAMS groups, DIRECT
+groups in each, MEMBERS groups in each of these. A group has the sum of its members' weights.
+Its slots go to its members by a Pfair schedule of its own, worked out on the executors: a member
+is less than one block from its share of the group's slots, and takes over what used-up members of
+its group leave. A group of one member is that member, so where no two names meet in a group the
+sources are scheduled against each other as they are. What other sources there are doesn't change
+a source's groups.
 
 The default weights temper the sources' shares of documents by an exponent below one.
 
@@ -41,7 +43,7 @@ from weftline.llm.common import cut, free_name, partitions, small_enough
 
 #: Documents in a block at least, blocks in all (but for one more a source), exponent of the default weights.
 BLOCK, BLOCKS, TEMPER = 64, 1 << 18, 0.7
-#: Streams that are scheduled at once; of more, the DIRECT largest and groups of some MEMBERS each.
+#: Groups of sources by the hash of the name, groups in each of these, and again in each of those.
 STREAMS, DIRECT, MEMBERS = 1024, 512, 512
 REST = "(rest)"
 #: Rows of the (source, partition) table that may go by broadcast.
@@ -87,14 +89,13 @@ def placed_by(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     return rows.join(F.broadcast(plan) if small else plan, ["unit", "block"])
 
 
-def grouped(units: DataFrame, level: int) -> DataFrame:
-    """units (unit, n, blocks, weight) with their group: units of like size, some MEMBERS to a group."""
-    bucket = F.floor(F.log2(F.col("blocks").cast("double"))).cast("int")
-    sized = units.withColumn("bucket", bucket)
-    counts = [(r["bucket"], -(-r["count"] // MEMBERS)) for r in sized.groupBy("bucket").count().collect()]  # 64 rows at most
-    many = F.broadcast(units.sparkSession.createDataFrame(counts, "bucket int, many long"))
-    name = F.concat(F.lit(f"\0{level}:"), F.col("bucket"), F.lit(":"), F.pmod(F.xxhash64("unit"), F.col("many")))
-    return sized.join(many, "bucket").withColumn("group", name).drop("bucket", "many")
+def tree(source: str) -> list[F.Column]:
+    """The groups of a source, from the smallest up."""
+    h, names, at = F.xxhash64(source), [], F.lit("\0")
+    for n in (STREAMS, DIRECT, MEMBERS):
+        at, h = F.concat(at, F.pmod(h, F.lit(n)).cast("string"), F.lit(":")), F.xxhash64(h)
+        names.insert(0, at)
+    return names
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, blocks: int = BLOCKS, temper: float = TEMPER) -> DataFrame:
@@ -120,12 +121,16 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     n = F.sum("n")
     units = cut(runs.groupBy(F.col("stream").alias("unit")).agg(n.alias("n")).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(temper)))))
-    plans = []  # of the groups, from the sources up: plan, unit to group
-    if not weights and units.count() > STREAMS:
-        direct = cut(units.orderBy(F.desc("n"), "unit").limit(DIRECT))
-        left = units.join(F.broadcast(direct.select("unit")), "unit", "left_anti")
-        while not plans or left.count() > STREAMS - DIRECT:
-            members = cut(grouped(left, len(plans)))
+    plans = []  # of the groups of more than one member, from the sources up: plan, unit to group
+    if not weights:
+        total_weight = F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda x, y: x + y)  # in one order, for one sum
+        left = cut(units.select("unit", "n", "blocks", "weight", F.array(*tree("unit")).alias("groups")))
+        for level in range(3):
+            members = left.withColumn("group", F.col("groups")[level])
+            several = members.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group")
+            inside = cut(members.join(several, "group", "left_semi"))
+            if inside.isEmpty():
+                continue
 
             def work_out(group: pd.DataFrame) -> pd.DataFrame:
                 group = group.sort_values("unit")
@@ -133,11 +138,13 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
                 found = plan_rows(dict(zip(names, group["blocks"].tolist())), dict(zip(names, group["weight"].tolist())))
                 return pd.DataFrame(found, columns=[c.split()[0] for c in PLAN.split(", ")])
 
-            plan = cut(members.select("unit", "blocks", "weight", "group").groupBy("group").applyInPandas(work_out, PLAN))
-            plans.append((plan, members.select("unit", "group")))
-            left = cut(members.groupBy(F.col("group").alias("unit")).agg(n.alias("n"), F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")))
-        units = direct.unionByName(left)
-    top = {r["unit"]: r for r in units.collect()}  # STREAMS rows at most, but for groups of many sizes
+            plan = cut(inside.select("unit", "blocks", "weight", "group").groupBy("group").applyInPandas(work_out, PLAN))
+            plans.append((plan, inside.select("unit", "group")))
+            alone = members.join(several, "group", "left_anti").select(*left.columns)
+            made = inside.groupBy(F.col("group").alias("unit")).agg(n.alias("n"), F.sum("blocks").alias("blocks"), total_weight.alias("weight"), F.first("groups").alias("groups"))
+            left = cut(alone.unionByName(made))
+        units = left
+    top = {r["unit"]: r for r in units.collect()}  # STREAMS rows at most, or the given weights and one more
     shares = {k: r["weight"] for k, r in top.items()}
     if weights:
         shares = {k: weights.get(k, weights.get("", sum(weights.values()) / len(weights))) for k in top}
